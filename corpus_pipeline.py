@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.compression import compression_filter
 from quillon.llm.near import near_deduplicated
+from quillon.llm.repeats import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_deduplicated(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)]
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stood before; those of which nothing is left go."""
+    return without_repeats(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("suffix array", suffix_array)]
 
 ORACLE_SQL = None
 

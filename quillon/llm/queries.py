@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.compression import compression_report
 from quillon.llm.near import near_groups
+from quillon.llm.repeats import repeated_passages
 from quillon.llm.tokens import token_counts
 
 
@@ -27,5 +28,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op7_quality_rules)}
+def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op7_quality_rules, op10_suffix_array_repeats)}
 ORACLES: dict[str, str] = {}
