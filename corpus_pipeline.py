@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.compression import compression_filter
+from quillon.llm.decontaminate import decontaminated
 from quillon.llm.near import near_deduplicated
 from quillon.llm.repeats import without_repeats
 
@@ -24,7 +25,17 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return without_repeats(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("suffix array", suffix_array)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("suffix array", suffix_array),
+    ("decontamination", decontamination),
+]
 
 ORACLE_SQL = None
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.compression import compression_report
+from quillon.llm.decontaminate import benchmark_leaks
 from quillon.llm.near import near_groups
 from quillon.llm.repeats import repeated_passages
 from quillon.llm.tokens import token_counts
@@ -24,6 +25,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_report(_table(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op7_quality_rules, op10_suffix_array_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_benchmark_leaks, op7_quality_rules, op10_suffix_array_repeats)}
 ORACLES: dict[str, str] = {}
