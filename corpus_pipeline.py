@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.compression import compression_filter
 from quillon.llm.decontaminate import decontaminated
 from quillon.llm.near import near_deduplicated
+from quillon.llm.packing import packed_sequences
 from quillon.llm.repeats import without_repeats
+from quillon.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +32,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequence and place of each part of each document."""
+    return packed_sequences(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
     ("suffix array", suffix_array),
     ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
 ORACLE_SQL = None
@@ -42,8 +50,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder, each writing its result for the next."""
-    from quillon.llm.shared import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.compression import compression_report
 from quillon.llm.decontaminate import benchmark_leaks
 from quillon.llm.near import near_groups
+from quillon.llm.packing import packed_sequences
 from quillon.llm.repeats import repeated_passages
+from quillon.llm.sharding import sharded
 from quillon.llm.tokens import token_counts
 
 
@@ -29,13 +31,33 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op5_benchmark_leaks, op7_quality_rules, op10_suffix_array_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_near_duplicates,
+        op5_benchmark_leaks,
+        op6_sharding,
+        op7_quality_rules,
+        op8_best_fit_packing,
+        op10_suffix_array_repeats,
+    )
+}
+#: none of these methods can be written as SQL that runs over whole tables; tests hold each against a brute-force version
 ORACLES: dict[str, str] = {}
