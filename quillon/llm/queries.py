@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.compression import compression_report
 from quillon.llm.decontaminate import benchmark_leaks
+from quillon.llm.langid import identified, train
 from quillon.llm.near import near_groups
 from quillon.llm.packing import packed_sequences
 from quillon.llm.repeats import repeated_passages
@@ -27,6 +28,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identified(docs, train(docs))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_near_duplicates,
+        op4_language_id,
         op5_benchmark_leaks,
         op6_sharding,
         op7_quality_rules,
