@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import html, langid, quality
 from quillon.llm.compression import compression_report
 from quillon.llm.decontaminate import benchmark_leaks
-from quillon.llm.langid import identified, train
 from quillon.llm.near import near_groups
 from quillon.llm.packing import packed_sequences
 from quillon.llm.repeats import repeated_passages
@@ -28,9 +28,14 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classified(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return identified(docs, train(docs))
+    return langid.identified(docs, langid.train(docs))
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +54,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.train(pages))
+
+
 def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -58,11 +68,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_near_duplicates,
+        op3_quality_classifier,
         op4_language_id,
         op5_benchmark_leaks,
         op6_sharding,
         op7_quality_rules,
         op8_best_fit_packing,
+        op9_html_extraction,
         op10_suffix_array_repeats,
     )
 }

@@ -22,6 +22,9 @@ _BINV = pow(_B, -1, 1 << 64)
 _STEP = 1 << 21  #: bytes hashed at a time
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: words, and runs of punctuation
+TOKENS = np.where(_WORD, 1, 2).astype(np.uint8)
+TOKENS[[*range(33), 127]] = 0
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -118,16 +121,20 @@ def text_bytes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return buf, at - at[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words of a column of texts: 64-bit hashes, the first word of each row (and the end), and each word's first and last byte + 1 in text_bytes()."""
-    buf, at = text_bytes(column)
+def words(column: pa.Array, kind: np.ndarray = _WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words of a column of texts: 64-bit hashes, the first word of each row (and the end), and each word's first and last byte + 1 in text_bytes().
+
+    kind tells bytes apart: a word is a run of bytes of one kind, and kind 0 is between words.
+    """
+    buf, at = text_bytes(column, lower)
     n = len(buf)
     first = np.zeros(n + 1, bool)
     first[at] = True
-    is_word = _WORD[buf]
-    begins, ends = is_word.copy(), is_word.copy()
-    begins[1:] &= ~is_word[:-1] | first[1:n]
-    ends[:-1] &= ~is_word[1:] | first[1:n]
+    of = kind[buf]
+    begins, ends = of != 0, of != 0
+    edge = (of[1:] != of[:-1]) | first[1:n]
+    begins[1:] &= edge
+    ends[:-1] &= edge
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     out, i = np.empty(len(start), U64), 0
     while i < len(start):  # in pieces that end with a word, so that memory stays small for a text of any length
