@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quillon.registry import ORACLES, QUERIES, QueryFn
 
-MODULES = ("tpch",)
+MODULES = ("tpch", "relational", "text", "aggregates", "windows", "api")
 
 
 def load() -> tuple[dict[str, QueryFn], dict[str, str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.registry import query
@@ -37,3 +37,202 @@ def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
+
+
+def _money() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def _ts(year: int, month: int = 1, day: int = 1) -> Column:
+    return F.lit(dt.datetime(year, month, day)).cast("timestamp_ntz")
+
+
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in names]
+
+
+@query(
+    "q03",
+    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem
+       WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
+       GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+)
+def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, li = _tables(spark, sf_dir, "customer", "orders", "lineitem")
+    c = c.filter("c_mktsegment = 'BUILDING'")
+    o, li = o.filter(F.col("o_orderdate") < _ts(1998, 3, 15)), li.filter(F.col("l_shipdate") > _ts(1998, 3, 15))
+    j = li.join(o.join(c, o.o_custkey == c.c_custkey, "left_semi"), li.l_orderkey == o.o_orderkey)
+    g = j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(_money()), 2).alias("revenue"))
+    return g.orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
+
+
+@query(
+    "q04",
+    """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND o_orderdate < TIMESTAMP '1997-10-01'
+       AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority""",
+)
+def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = _tables(spark, sf_dir, "orders", "lineitem")
+    o = o.filter((F.col("o_orderdate") >= _ts(1997, 7)) & (F.col("o_orderdate") < _ts(1997, 10)))
+    return o.join(li.filter("l_quantity > 45"), o.o_orderkey == li.l_orderkey, "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("order_count")).orderBy("o_orderpriority")
+
+
+@query(
+    "q05",
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
+       WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey
+       AND r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY n_name""",
+)
+def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, li, s, n, r = _tables(spark, sf_dir, "customer", "orders", "lineitem", "supplier", "nation", "region")
+    n = n.join(r.filter("r_name = 'ASIA'"), n.n_regionkey == r.r_regionkey)
+    s = s.join(n, s.s_nationkey == n.n_nationkey)
+    o = o.filter((F.col("o_orderdate") >= _ts(1996)) & (F.col("o_orderdate") < _ts(1997))).join(c, F.col("o_custkey") == c.c_custkey)
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    return j.groupBy("n_name").agg(F.round(F.sum(_money()), 2).alias("revenue")).orderBy(F.desc("revenue"))
+
+
+@query(
+    "q06",
+    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
+       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
+)
+def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("l_shipdate")
+    li = table(spark, sf_dir, "lineitem").filter((d >= _ts(1996)) & (d < _ts(1997)) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
+    return li.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
+
+
+@query(
+    "q07",
+    """SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, cast(year(l_shipdate) AS int) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+       FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey
+       AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey = 2 AND n2.n_regionkey = 3
+       AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY 1, 2, 3""",
+)
+def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, li, o, c, n = _tables(spark, sf_dir, "supplier", "lineitem", "orders", "customer", "nation")
+    sn = n.filter("n_regionkey = 2").select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supp_nation"))
+    cn = n.filter("n_regionkey = 3").select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("cust_nation"))
+    s, c = s.join(sn, s.s_nationkey == sn.sk), c.join(cn, c.c_nationkey == cn.ck)
+    li = li.filter(F.col("l_shipdate").between(_ts(1996), _ts(1997, 12, 31)))
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(o, F.col("l_orderkey") == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+    return j.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(F.round(F.sum(_money()), 2).alias("revenue"))
+
+
+@query(
+    "q08",
+    """SELECT o_year, round(sum(CASE WHEN nation = 'NATION_7' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
+         SELECT cast(year(o_orderdate) AS int) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region
+         WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey
+         AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND p_type = 'ECONOMY') t GROUP BY o_year""",
+)
+def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s, li, o, c, n, r = _tables(spark, sf_dir, "part", "supplier", "lineitem", "orders", "customer", "nation", "region")
+    home = n.join(r.filter("r_name = 'AMERICA'"), n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_nationkey").alias("hk"))
+    c = c.join(home, c.c_nationkey == home.hk, "left_semi")
+    o = o.filter(F.col("o_orderdate").between(_ts(1996), _ts(1999, 12, 31))).join(c, F.col("o_custkey") == c.c_custkey, "left_semi")
+    s = s.join(n.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nation")), F.col("s_nationkey") == F.col("nk"))
+    j = li.join(p.filter("p_type = 'ECONOMY'"), li.l_partkey == p.p_partkey, "left_semi").join(s, F.col("l_suppkey") == s.s_suppkey).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    share = F.sum(F.when(F.col("nation") == "NATION_7", _money()).otherwise(0)) / F.sum(_money())
+    return j.groupBy(F.year("o_orderdate").alias("o_year")).agg(F.round(share, 6).alias("mkt_share"))
+
+
+@query(
+    "q10",
+    """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
+       WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'R'
+       AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
+)
+def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, li, n = _tables(spark, sf_dir, "customer", "orders", "lineitem", "nation")
+    o = o.filter((F.col("o_orderdate") >= _ts(1997, 10)) & (F.col("o_orderdate") < _ts(1998)))
+    j = li.filter("l_returnflag = 'R'").join(o, F.col("l_orderkey") == o.o_orderkey)
+    g = j.groupBy("o_custkey").agg(F.round(F.sum(_money()), 2).alias("revenue"))  # before the wide join
+    full = g.join(c, g.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    return full.select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
+
+
+@query("q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) t GROUP BY c_count")
+def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _tables(spark, sf_dir, "customer", "orders")
+    per = o.filter(~F.col("o_orderpriority").like("%URGENT%")).groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))  # before the join
+    return c.join(per, c.c_custkey == per.o_custkey, "left").groupBy(F.coalesce("n", F.lit(0)).cast("long").alias("c_count")).agg(F.count("*").alias("custdist")).orderBy(F.desc("custdist"), F.desc("c_count"))
+
+
+@query(
+    "q14",
+    """SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue
+       FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-10-01'""",
+)
+def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, p = _tables(spark, sf_dir, "lineitem", "part")
+    li = li.filter((F.col("l_shipdate") >= _ts(1997, 9)) & (F.col("l_shipdate") < _ts(1997, 10)))
+    promo = F.when(F.col("p_type").like("PROMO%"), _money()).otherwise(0)
+    return li.join(p, li.l_partkey == p.p_partkey).agg(F.round(100.0 * F.sum(promo) / F.sum(_money()), 6).alias("promo_revenue"))
+
+
+@query(
+    "q15",
+    """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem
+         WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY l_suppkey)
+       SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue)""",
+)
+def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, s = _tables(spark, sf_dir, "lineitem", "supplier")
+    li = li.filter((F.col("l_shipdate") >= _ts(1997)) & (F.col("l_shipdate") < _ts(1997, 4)))
+    revenue = li.groupBy("l_suppkey").agg(F.round(F.sum(_money()), 2).alias("total_revenue"))
+    best = revenue.join(revenue.agg(F.max("total_revenue").alias("top")), F.col("total_revenue") == F.col("top"))
+    return s.join(best, s.s_suppkey == best.l_suppkey).select("s_suppkey", "s_name", "total_revenue")
+
+
+@query("q17", "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
+def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, p = _tables(spark, sf_dir, "lineitem", "part")
+    mine = li.select("l_partkey", "l_quantity", "l_extendedprice").join(p.filter("p_brand = 'Brand#23'"), F.col("l_partkey") == p.p_partkey, "left_semi")
+    limits = mine.groupBy("l_partkey").agg((0.5 * F.avg("l_quantity")).alias("most"))
+    return mine.join(limits, "l_partkey").filter("l_quantity < most").agg(F.round(F.sum("l_extendedprice") / 7.0, 2).alias("avg_yearly"))
+
+
+@query(
+    "q18",
+    """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, sum(l_quantity) AS quantity FROM customer, orders, lineitem
+       WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey
+       GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
+)
+def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, li = _tables(spark, sf_dir, "customer", "orders", "lineitem")
+    big = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity")).filter("quantity > 200")
+    j = o.join(big, o.o_orderkey == big.l_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+    return j.select("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "quantity").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey").limit(100)
+
+
+@query(
+    "q19",
+    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE
+       (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
+       OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
+       OR (p_partkey = l_partkey AND p_brand = 'Brand#14' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
+)
+def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, p = _tables(spark, sf_dir, "lineitem", "part")
+    cases = [("Brand#12", 1, 11, 15), ("Brand#23", 10, 20, 30), ("Brand#14", 20, 30, 45)]
+    any_of = F.lit(False)
+    for brand, low, high, size in cases:
+        any_of = any_of | ((F.col("p_brand") == brand) & F.col("l_quantity").between(low, high) & F.col("p_size").between(1, size))
+    return li.join(p, (li.l_partkey == p.p_partkey) & any_of).agg(F.round(F.sum(_money()), 2).alias("revenue"))
+
+
+@query(
+    "q22",
+    """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_nationkey IN (1, 3, 7, 10, 13, 17, 23)
+       AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0 AND c_nationkey IN (1, 3, 7, 10, 13, 17, 23))
+       AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000) GROUP BY c_nationkey""",
+)
+def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = _tables(spark, sf_dir, "customer", "orders")
+    c = c.filter(F.col("c_nationkey").isin(1, 3, 7, 10, 13, 17, 23))
+    mean = c.filter("c_acctbal > 0").agg(F.avg("c_acctbal").alias("mean"))
+    rich = c.crossJoin(F.broadcast(mean)).filter("c_acctbal > mean")  # one row
+    none = rich.join(o.filter("o_totalprice > 150000"), F.col("c_custkey") == o.o_custkey, "left_anti")
+    return none.groupBy("c_nationkey").agg(F.count("*").alias("numcust"), F.round(F.sum("c_acctbal"), 2).alias("totacctbal"))
