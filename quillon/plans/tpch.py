@@ -11,14 +11,56 @@ from quillon.registry import query
 from quillon.session import table
 
 
-@query(
-    "q01",
-    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-       round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-       FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY l_returnflag, l_linestatus""",
-)
+_LINES = "(SELECT *, (1 - l_discount) * l_extendedprice AS net FROM lineitem) li"
+_ORDERS = "orders JOIN customer ON c_custkey = o_custkey"
+_HOME = "JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+#: the same results, written for the other engine
+SQL = {
+    "q01": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(net), 2) AS sum_disc_price,
+        round(sum((1 + l_tax) * net), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc,
+        count(l_orderkey) AS count_order FROM """
+    + _LINES
+    + " WHERE NOT l_shipdate > TIMESTAMP '2001-08-01' GROUP BY ALL",
+    "q03": f"""SELECT l_orderkey, o_orderdate, round(sum(net), 2) AS revenue FROM {_LINES} JOIN orders ON o_orderkey = l_orderkey
+        WHERE l_shipdate > TIMESTAMP '1998-03-15' AND o_orderdate < TIMESTAMP '1998-03-15'
+        AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY ALL ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+    "q04": """WITH late AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) SELECT o_orderpriority, count(k) AS order_count FROM orders JOIN late ON k = o_orderkey
+        WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND o_orderdate < TIMESTAMP '1997-10-01' GROUP BY ALL""",
+    "q05": f"""SELECT n_name, round(sum(net), 2) AS revenue FROM {_LINES} JOIN {_ORDERS} ON o_orderkey = l_orderkey {_HOME}
+        JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey
+        WHERE date_part('year', o_orderdate) = 1996 AND r_name = 'ASIA' GROUP BY ALL""",
+    "q06": """SELECT round(sum(l_discount * l_extendedprice), 2) AS revenue FROM lineitem
+        WHERE date_part('year', l_shipdate) = 1996 AND l_quantity < 24 AND l_discount >= 0.05 AND l_discount <= 0.07""",
+    "q07": f"""SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, cast(date_part('year', l_shipdate) AS int) AS l_year, round(sum(net), 2) AS revenue
+        FROM {_LINES} JOIN {_ORDERS} ON o_orderkey = l_orderkey JOIN nation b ON b.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey
+        WHERE a.n_regionkey = 2 AND b.n_regionkey = 3 AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate <= TIMESTAMP '1997-12-31' GROUP BY ALL""",
+    "q08": f"""SELECT cast(date_part('year', o_orderdate) AS int) AS o_year, round(sum(net) FILTER (WHERE o.n_name = 'NATION_7') / sum(net), 6) AS mkt_share
+        FROM {_LINES} JOIN {_ORDERS} ON o_orderkey = l_orderkey {_HOME} JOIN supplier ON s_suppkey = l_suppkey JOIN nation o ON o.n_nationkey = s_nationkey
+        WHERE r_name = 'AMERICA' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')
+        AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-12-31' GROUP BY ALL""",
+    "q10": f"""SELECT c_custkey, c_name, c_acctbal, n_name, round(sum(net), 2) AS revenue FROM {_LINES} JOIN {_ORDERS} ON o_orderkey = l_orderkey {_HOME}
+        WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""",
+    "q13": """WITH per AS (SELECT c_custkey AS k, count(o_orderkey) AS c_count FROM customer LEFT JOIN (SELECT * FROM orders WHERE NOT contains(o_orderpriority, 'URGENT')) o
+        ON o_custkey = c_custkey GROUP BY ALL) SELECT c_count, count(k) AS custdist FROM per GROUP BY ALL""",
+    "q14": f"""SELECT round(100.0 * sum(net) FILTER (WHERE starts_with(p_type, 'PROMO')) / sum(net), 6) AS promo_revenue FROM {_LINES} JOIN part ON p_partkey = l_partkey
+        WHERE l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-10-01'""",
+    "q15": f"""SELECT s_suppkey, s_name, total_revenue FROM (SELECT *, rank() OVER (ORDER BY total_revenue DESC) AS place FROM (SELECT l_suppkey AS k, round(sum(net), 2) AS total_revenue
+        FROM {_LINES} WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY ALL) r) t JOIN supplier ON s_suppkey = k WHERE place = 1""",
+    "q17": """SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY l_partkey) AS mean FROM lineitem) l
+        JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#23' AND l_quantity < 0.5 * mean""",
+    "q18": f"""WITH big AS (SELECT l_orderkey AS k, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL) SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, quantity
+        FROM {_ORDERS} JOIN big ON k = o_orderkey WHERE quantity > 200 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
+    "q19": f"""SELECT round(sum(net), 2) AS revenue FROM {_LINES} JOIN part ON p_partkey = l_partkey
+        JOIN (VALUES ('Brand#12', 1, 11, 15), ('Brand#23', 10, 20, 30), ('Brand#14', 20, 30, 45)) v(brand, low, high, size) ON brand = p_brand
+        WHERE l_quantity BETWEEN low AND high AND p_size BETWEEN 1 AND size""",
+    "q22": """WITH chosen AS (SELECT * FROM customer WHERE c_nationkey IN (1, 3, 7, 10, 13, 17, 23)), mean AS (SELECT avg(c_acctbal) AS m FROM chosen WHERE c_acctbal > 0)
+        SELECT c_nationkey, count(c_custkey) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM chosen, mean
+        WHERE c_acctbal > m AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) GROUP BY ALL""",
+}
+
+
+@query("q01", SQL["q01"])
 def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
@@ -29,7 +71,7 @@ def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
             F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
             F.round(F.sum(disc), 2).alias("sum_disc_price"),
-            F.round(F.sum(disc * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
+            F.round(F.sum((1 + F.col("l_tax")) * disc), 2).alias("sum_charge"),
             F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
             F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
             F.round(F.avg("l_discount"), 6).alias("avg_disc"),
@@ -51,12 +93,7 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [table(spark, sf_dir, n) for n in names]
 
 
-@query(
-    "q03",
-    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem
-       WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
-       GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
-)
+@query("q03", SQL["q03"])
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li = _tables(spark, sf_dir, "customer", "orders", "lineitem")
     c = c.filter("c_mktsegment = 'BUILDING'")
@@ -66,23 +103,14 @@ def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10).select("l_orderkey", "revenue", "o_orderdate")
 
 
-@query(
-    "q04",
-    """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND o_orderdate < TIMESTAMP '1997-10-01'
-       AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority""",
-)
+@query("q04", SQL["q04"])
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = _tables(spark, sf_dir, "orders", "lineitem")
     o = o.filter((F.col("o_orderdate") >= _ts(1997, 7)) & (F.col("o_orderdate") < _ts(1997, 10)))
     return o.join(li.filter("l_quantity > 45"), o.o_orderkey == li.l_orderkey, "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("order_count")).orderBy("o_orderpriority")
 
 
-@query(
-    "q05",
-    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
-       WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey
-       AND r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY n_name""",
-)
+@query("q05", SQL["q05"])
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, s, n, r = _tables(spark, sf_dir, "customer", "orders", "lineitem", "supplier", "nation", "region")
     n = n.join(r.filter("r_name = 'ASIA'"), n.n_regionkey == r.r_regionkey)
@@ -92,24 +120,14 @@ def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("n_name").agg(F.round(F.sum(_money()), 2).alias("revenue")).orderBy(F.desc("revenue"))
 
 
-@query(
-    "q06",
-    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
-       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
-)
+@query("q06", SQL["q06"])
 def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("l_shipdate")
     li = table(spark, sf_dir, "lineitem").filter((d >= _ts(1996)) & (d < _ts(1997)) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
     return li.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
 
 
-@query(
-    "q07",
-    """SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, cast(year(l_shipdate) AS int) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-       FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey
-       AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey = 2 AND n2.n_regionkey = 3
-       AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY 1, 2, 3""",
-)
+@query("q07", SQL["q07"])
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li, o, c, n = _tables(spark, sf_dir, "supplier", "lineitem", "orders", "customer", "nation")
     sn = n.filter("n_regionkey = 2").select(F.col("n_nationkey").alias("sk"), F.col("n_name").alias("supp_nation"))
@@ -120,13 +138,7 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year")).agg(F.round(F.sum(_money()), 2).alias("revenue"))
 
 
-@query(
-    "q08",
-    """SELECT o_year, round(sum(CASE WHEN nation = 'NATION_7' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
-         SELECT cast(year(o_orderdate) AS int) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region
-         WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey
-         AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND p_type = 'ECONOMY') t GROUP BY o_year""",
-)
+@query("q08", SQL["q08"])
 def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, li, o, c, n, r = _tables(spark, sf_dir, "part", "supplier", "lineitem", "orders", "customer", "nation", "region")
     home = n.join(r.filter("r_name = 'AMERICA'"), n.n_regionkey == r.r_regionkey, "left_semi").select(F.col("n_nationkey").alias("hk"))
@@ -138,12 +150,7 @@ def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.year("o_orderdate").alias("o_year")).agg(F.round(share, 6).alias("mkt_share"))
 
 
-@query(
-    "q10",
-    """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
-       WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'R'
-       AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
-)
+@query("q10", SQL["q10"])
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, n = _tables(spark, sf_dir, "customer", "orders", "lineitem", "nation")
     o = o.filter((F.col("o_orderdate") >= _ts(1997, 10)) & (F.col("o_orderdate") < _ts(1998)))
@@ -153,18 +160,14 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
-@query("q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) t GROUP BY c_count")
+@query("q13", SQL["q13"])
 def q13(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = _tables(spark, sf_dir, "customer", "orders")
     per = o.filter(~F.col("o_orderpriority").like("%URGENT%")).groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))  # before the join
     return c.join(per, c.c_custkey == per.o_custkey, "left").groupBy(F.coalesce("n", F.lit(0)).cast("long").alias("c_count")).agg(F.count("*").alias("custdist")).orderBy(F.desc("custdist"), F.desc("c_count"))
 
 
-@query(
-    "q14",
-    """SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue
-       FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-10-01'""",
-)
+@query("q14", SQL["q14"])
 def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _tables(spark, sf_dir, "lineitem", "part")
     li = li.filter((F.col("l_shipdate") >= _ts(1997, 9)) & (F.col("l_shipdate") < _ts(1997, 10)))
@@ -172,12 +175,7 @@ def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(p, li.l_partkey == p.p_partkey).agg(F.round(100.0 * F.sum(promo) / F.sum(_money()), 6).alias("promo_revenue"))
 
 
-@query(
-    "q15",
-    """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem
-         WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-01' GROUP BY l_suppkey)
-       SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue)""",
-)
+@query("q15", SQL["q15"])
 def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, s = _tables(spark, sf_dir, "lineitem", "supplier")
     li = li.filter((F.col("l_shipdate") >= _ts(1997)) & (F.col("l_shipdate") < _ts(1997, 4)))
@@ -186,7 +184,7 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(best, s.s_suppkey == best.l_suppkey).select("s_suppkey", "s_name", "total_revenue")
 
 
-@query("q17", "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
+@query("q17", SQL["q17"])
 def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _tables(spark, sf_dir, "lineitem", "part")
     mine = li.select("l_partkey", "l_quantity", "l_extendedprice").join(p.filter("p_brand = 'Brand#23'"), F.col("l_partkey") == p.p_partkey, "left_semi")
@@ -194,12 +192,7 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.join(limits, "l_partkey").filter("l_quantity < most").agg(F.round(F.sum("l_extendedprice") / 7.0, 2).alias("avg_yearly"))
 
 
-@query(
-    "q18",
-    """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, sum(l_quantity) AS quantity FROM customer, orders, lineitem
-       WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey
-       GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
-)
+@query("q18", SQL["q18"])
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li = _tables(spark, sf_dir, "customer", "orders", "lineitem")
     big = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity")).filter("quantity > 200")
@@ -207,13 +200,7 @@ def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "quantity").orderBy(F.desc("o_totalprice"), "o_orderdate", "o_orderkey").limit(100)
 
 
-@query(
-    "q19",
-    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem, part WHERE
-       (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
-       OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
-       OR (p_partkey = l_partkey AND p_brand = 'Brand#14' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
-)
+@query("q19", SQL["q19"])
 def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _tables(spark, sf_dir, "lineitem", "part")
     cases = [("Brand#12", 1, 11, 15), ("Brand#23", 10, 20, 30), ("Brand#14", 20, 30, 45)]
@@ -223,12 +210,7 @@ def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(p, (li.l_partkey == p.p_partkey) & any_of).agg(F.round(F.sum(_money()), 2).alias("revenue"))
 
 
-@query(
-    "q22",
-    """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_nationkey IN (1, 3, 7, 10, 13, 17, 23)
-       AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0 AND c_nationkey IN (1, 3, 7, 10, 13, 17, 23))
-       AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000) GROUP BY c_nationkey""",
-)
+@query("q22", SQL["q22"])
 def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = _tables(spark, sf_dir, "customer", "orders")
     c = c.filter(F.col("c_nationkey").isin(1, 3, 7, 10, 13, 17, 23))
