@@ -192,7 +192,7 @@ def join_using(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_mark", "SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS mark FROM nation")
 def join_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").filter("s_acctbal > 9000")
-    return mark_join(n.select("n_nationkey"), s, F.col("n_nationkey") == F.col("s_nationkey"))
+    return mark_join(n.select("n_nationkey"), s, F.col("n_nationkey").outer() == F.col("s_nationkey"))
 
 
 @query(

@@ -119,3 +119,46 @@ sql_query("fn_year", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderda
 sql_query("fn_cast", "SELECT o_orderkey, cast(o_orderkey AS string) AS s, cast(o_orderdate AS date) AS d, cast(substring(o_orderpriority, 1, 1) AS int) AS p FROM orders", "SELECT o_orderkey, cast(o_orderkey AS varchar) AS s, cast(o_orderdate AS date) AS d, cast(substring(o_orderpriority, 1, 1) AS int) AS p FROM orders", "orders")
 sql_query("fn_bits", "SELECT o_orderkey, o_orderkey % 7 AS m, o_orderkey & 12 AS a, o_orderkey | 3 AS b FROM orders", None, "orders")
 sql_query("fn_rlike", "SELECT p_partkey FROM part WHERE p_brand RLIKE '#[23]4?$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[23]4?$')", "part")
+
+# an aggregate of the outer query inside a subquery
+sql_query(
+    "agg_outer_in_subquery",
+    "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING o_custkey <= (SELECT max(s_suppkey) FROM supplier WHERE s_suppkey > count(orders.o_orderkey) * 5)",
+    """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+       SELECT o_custkey, n FROM g WHERE o_custkey <= (SELECT max(s_suppkey) FROM supplier WHERE s_suppkey > n * 5)""",
+    "orders",
+    "supplier",
+)
+
+# star joins that end in a few minima, as join-order benchmarks have them
+sql_query(
+    "join_order_chain",
+    """SELECT min(n_name) AS nation, min(p_name) AS part, min(c_name) AS customer, count(*) AS n
+       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+       WHERE p_type IN ('PROMO', 'LARGE') AND p_name LIKE '%widget%' AND c_mktsegment <> 'BUILDING' AND o_totalprice > 100000""",
+    None,
+    *BIG,
+)
+sql_query(
+    "join_order_two_facts",
+    """SELECT max(s_name) AS supplier, min(r_name) AS region, count(DISTINCT c_custkey) AS customers
+       FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey
+       JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_returnflag = 'R' AND (r_name LIKE 'A%' OR r_name LIKE '%EAST')""",
+    None,
+    *BIG,
+)
+# decision-support shapes: ratios by period, conditional sums, the same fact table joined with itself over years
+sql_query(
+    "channel_years",
+    """WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS yr, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey, year(o_orderdate))
+       SELECT a.k, round(b.total / a.total, 4) AS ratio FROM y a JOIN y b ON a.k = b.k AND b.yr = a.yr + 1 WHERE a.yr = 1997 AND a.total > 0""",
+    None,
+    "orders",
+)
+sql_query(
+    "weekday_pivot",
+    """SELECT l_suppkey, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END), 2) AS returned, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END), 2) AS fresh,
+       round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 2) AS open FROM lineitem GROUP BY l_suppkey""",
+    None,
+    "lineitem",
+)

@@ -141,7 +141,7 @@ def test_definitions_and_loading(spark, tmp_path):
 def test_operators(spark, toy):
     a, d, r = (spark.table(t) for t in "adr")
     assert text(R.derived(a, "t", "x", "y").filter("t.x > 1")) == "2,3"
-    assert sorted(R.mark_join(a.select("a1"), d, F.col("a1") == F.col("d3")).collect()) == [(0, False), (1, False), (2, True)]
+    assert sorted(R.mark_join(a.select("a1"), d, F.col("a1").outer() == F.col("d3")).collect()) == [(0, False), (1, False), (2, True)]
     one = R.single_join(a.select("a1"), d.select(F.col("d1").alias("a1"), "d2"), ["a1"], "d2")
     assert sorted(one.collect()) == [(0, 1), (1, 2), (2, 2)]
     with pytest.raises(PySparkException, match="more than one row"):
@@ -250,5 +250,6 @@ def test_plans_push_down(spark):
     q = load()[0]
     plan = explain(q["filter_compare"](spark, DATA), "formatted")
     assert "PushedFilters: [IsNotNull(p_size)" in plan and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+    assert "ExistenceJoin" in explain(q["join_mark"](spark, DATA), "formatted")
     assert "BroadcastHashJoin" in explain(q["join_broadcast"](spark, DATA), "formatted")
     assert "TakeOrderedAndProject" in explain(q["limit_topk"](spark, DATA), "formatted")
