@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from quillon.llm.shared import small_batches
+
 #: (bytes from which it holds, lowest ratio, highest ratio). Prose reaches 1.2 to 2 at a kilobyte and 2 to 4 at a hundred; base64 stays near 1.3.
 BANDS = ((128, 0.7, 2.6), (256, 0.9, 3.2), (512, 1.1, 3.8), (1024, 1.2, 4.2), (2048, 1.3, 4.6), (4096, 1.4, 5.0), (16384, 1.5, 6.0), (65536, 1.6, 7.0))
 CHUNK_BYTES = 4096
@@ -57,6 +59,7 @@ def _judged(batch: pa.RecordBatch, text_col: str, z: zstandard.ZstdCompressor) -
 
 def compression_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its id, the figures and the verdict."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL)
@@ -72,6 +75,7 @@ def compression_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def compression_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the rule keeps, with all their columns; no shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL)

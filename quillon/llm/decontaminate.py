@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, mix, rows_of, slices, words
+from quillon.llm.shared import U64, mix, rows_of, slices, small_batches, words
 
 SEGMENT = 64
 THRESHOLD = 0.5
@@ -220,6 +220,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> list:
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each document and the item that it holds, with the best passage's figures."""
+    small_batches(docs.sparkSession)
 
     def searcher(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns; no shuffle."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
 
     def cleaner(sent):

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import small_batches
+
 PATH_DIM = 24
 WORD_DIM = 24
 SIZES = 6
@@ -283,6 +285,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
 
 def extracted(pages: DataFrame, net: Labeller | None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, n_blocks, n_content, text): the content blocks of each page, a line for each."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(net)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import TOKENS, U64, rows_of, slices, words
+from quillon.llm.shared import TOKENS, U64, rows_of, slices, small_batches, words
 
 DIM = 64
 BUCKETS = 1 << 14
@@ -69,6 +69,7 @@ def context_sums(w: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 def context_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Over all documents: [bucket, DIM] context sums and the tokens of each bucket; a few MB for any corpus."""
+    small_batches(docs.sparkSession)
     names = [f"d{k}" for k in range(DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def classified(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = LABELS) -> DataFrame:
     """(doc_id, p_<label> for each label, keep): keep where the first label is likelier than not."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     names = [f"p_{c}" for c in label_cols]
 

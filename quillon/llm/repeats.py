@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, prefix, rows_of, slices, span, text_bytes, with_ids, words, written
+from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, with_ids, words, written
 from quillon.llm.suffix import same_start, sorted_suffixes
 
 LENGTH = 50
@@ -181,6 +181,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id, first_start_word) of each repeat: the words [start_word, end_word) of doc_id stood before, from first_start_word of first_doc_id on."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     by_anchor, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     near = _blocks(texts, length).repartition("anchor").sortWithinPartitions("anchor", "content")

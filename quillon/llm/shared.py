@@ -43,11 +43,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of this session's Arrow batches, unless they are bounded closer: 10,000 long texts take gigabytes outside the heap.
+
+    What a function gives doesn't depend on its batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and int(now) <= most):
+        spark.conf.set(key, str(most))
+
+
 def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "doc_id", most_bytes: int = 64 << 20) -> DataFrame:
     """Rows of df whose id is (keep) or isn't (not keep) in the one column of ids, which has each id once and no null.
 
     Ids of up to most_bytes go to the executors as one sorted array, so that the texts needn't be shuffled; more are joined. Rows with a null id count as not in ids.
     """
+    small_batches(df.sparkSession)
     name = ids.columns[0]
     if ids.count() * 8 > most_bytes:
         other = ids.select(F.col(name).alias("__id"))

@@ -19,6 +19,8 @@ import pyarrow.compute
 import tiktoken
 from pyspark.sql import DataFrame
 
+from quillon.llm.shared import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the public pattern that goes with byte-level vocabularies of 50,000 ids
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,6 +74,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The vocabulary file (a parameter; under 1 MB) is read on the driver and sent to the executors; its size doesn't depend on the data.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
