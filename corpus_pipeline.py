@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.compression import compression_filter
 from quillon.llm.decontaminate import decontaminated
@@ -23,8 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stood before; those of which nothing is left go."""
-    return without_repeats(docs)
+    """Documents without the passages that stood before; those of which nothing is left go. n_chars follows the cut text."""
+    left = without_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in left.columns else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
