@@ -80,7 +80,7 @@ def test_edges(spark, edge_docs):
     n = edge_docs.count()
     report = compression_report(edge_docs).collect()
     assert len(report) == n and [r.verdict for r in report if r.doc_id == 1] == ["empty"]
-    assert {r.doc_id for r in report if r.verdict == "repetitive"} == {8}
+    assert {r.doc_id for r in report if r.verdict == "repetitive"} == {6, 7, 8}  # counted words compress well
     left = compression_filter(edge_docs)
     assert left.columns == edge_docs.columns and left.count() == sum(r.keep for r in report)
     counts = token_counts(edge_docs).collect()
