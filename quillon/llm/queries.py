@@ -10,6 +10,7 @@ from quillon.llm import html, langid, quality
 from quillon.llm.compression import compression_report
 from quillon.llm.decontaminate import benchmark_leaks
 from quillon.llm.near import near_groups
+from quillon.llm.oracles import REPEATED_PASSAGES
 from quillon.llm.packing import packed_sequences
 from quillon.llm.repeats import repeated_passages
 from quillon.llm.sharding import sharded
@@ -78,5 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_array_repeats,
     )
 }
-#: none of these methods can be written as SQL that runs over whole tables; tests hold each against a brute-force version
-ORACLES: dict[str, str] = {}
+#: the other methods can't be written as SQL that runs over whole tables; tests hold each against a brute-force version
+ORACLES: dict[str, str] = {op10_suffix_array_repeats.__name__: REPEATED_PASSAGES}
