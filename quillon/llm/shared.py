@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
-_STEP = 1 << 21  #: bytes hashed at a time
+_STEP = 1 << 20  #: bytes hashed at a time
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: words, and runs of punctuation
@@ -92,7 +92,7 @@ def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "do
     return df.mapInArrow(chosen, df.schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about `most` bytes of text each; a longer text comes alone."""
     if not batch.num_rows:
         return
