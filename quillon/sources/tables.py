@@ -86,8 +86,11 @@ class Catalog:
         if unknown := given.keys() - {c.lower() for c in target.columns}:
             raise ValueError(f"no column {', '.join(sorted(unknown))}")
         out = [(F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema]
-        rows.select(*out).write.insertInto(name)
-        self._check(name)
+        new = rows.select(*out)
+        for i in self.indexes.values():
+            if i.unique and i.table == name.lower():
+                self._check_one(i, target.unionByName(new))
+        new.write.insertInto(name)
 
     def copy(self, name: str, path: str, where: str | Column | None = None, sep: str = "|") -> None:
         """Append the rows of a delimited file that meet a condition."""
@@ -111,13 +114,8 @@ class Catalog:
         i = self.indexes[name.lower()]
         return seek(self.spark.table(i.table), i.columns[0], op, value)
 
-    def _check(self, table: str) -> None:
-        for i in self.indexes.values():
-            if i.table == table.lower():
-                self._check_one(i)
-
-    def _check_one(self, i: Index) -> None:
-        df = self.spark.table(i.table)
+    def _check_one(self, i: Index, rows: DataFrame | None = None) -> None:
+        df = self.spark.table(i.table) if rows is None else rows
         if missing := [c for c in i.columns if c.lower() not in (x.lower() for x in df.columns)]:
             raise ValueError(f"no column {missing[0]}")
         if i.unique and duplicates(df, list(i.columns)).take(1):
@@ -154,6 +152,30 @@ def explain(df: DataFrame, mode: str = "simple") -> str:
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
+def actual_rows(df: DataFrame) -> list[tuple[int, str, int | None]]:
+    """(depth, operator, rows that it gave) of the physical plan, after running it once; None where an operator doesn't count."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    out: list[tuple[int, str, int | None]] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan(), depth)
+        if "QueryStage" in name:
+            return walk(node.plan(), depth)
+        if not name.startswith(("WholeStageCodegen", "InputAdapter", "AQEShuffleRead")):
+            rows = node.metrics().get("numOutputRows")
+            out.append((depth, name, rows.get().value() if rows.isDefined() else None))
+            depth += 1
+        below = node.children().iterator()
+        while below.hasNext():
+            walk(below.next(), depth)
+
+    walk(execution.executedPlan(), 0)
+    return out
+
+
 def profiled(df: DataFrame, name: str) -> tuple[DataFrame, object]:
     """The same rows, and an observation whose row count is there once they were computed."""
     from pyspark.sql import Observation
@@ -162,4 +184,4 @@ def profiled(df: DataFrame, name: str) -> tuple[DataFrame, object]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-__all__ = ["Catalog", "Index", "duplicates", "explain", "plan_nodes", "profiled", "read_delimited", "schema_of", "seek", "write_delimited"]
+__all__ = ["Catalog", "actual_rows", "Index", "duplicates", "explain", "plan_nodes", "profiled", "read_delimited", "schema_of", "seek", "write_delimited"]

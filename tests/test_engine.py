@@ -114,16 +114,21 @@ def test_definitions_and_loading(spark, tmp_path):
     assert [r.k for r in e.catalog.seek("by_k", ">=", 9).orderBy("k").collect()] == [9, 10]
     with pytest.raises(ValueError, match="duplicated"):
         e.execute("insert into loaded values (9, 'again', 1.0, null)")
+    e.execute("create unique index other on loaded(k)")
     with pytest.raises(ValueError, match="duplicated"):
-        e.execute("create unique index other on loaded(k)")
+        e.execute("insert into loaded values (20, 'x', 1.0, null), (20, 'y', 1.0, null)")
+    e.execute("create index by_d on loaded(d)")
     with pytest.raises(ValueError, match="values for"):
         e.execute("insert into loaded values (1, 2)")
     with pytest.raises(ValueError):
         e.catalog.seek("by_k", "<>", 9)
     e.execute("drop index by_name; analyze loaded")
-    assert e.statistics["loaded"]["k"].n_rows == 5 and e.statistics["loaded"]["price"].null_frac == pytest.approx(0.2)
+    assert e.statistics["loaded"]["k"].n_rows == 4 and e.statistics["loaded"]["price"].null_frac == pytest.approx(0.25)
     assert "Scan" in e.execute("explain select * from loaded where k = 1")[0]
-    assert "Physical" in e.execute("explain full select k from loaded")[0]
+    assert "Physical" in e.execute("explain verbose select k from loaded")[0]
+    full = e.execute("explain full select name, count(*) as n from loaded where k > 5 group by name")[0]
+    assert "HashAggregate (rows = 2)" in full and "Row(name='nine', n=1)" in full and "Row(" not in e.execute("explain execute select k from loaded")[0]
+    assert {"Aggregate", "Filter"} <= {r.node for r in e.plan("select name, count(*) as n from loaded where k > 5 group by name").collect()}
     plan = explain(spark.table("loaded").groupBy("k").count(), "formatted")
     assert "Exchange" not in plan  # bucketed by its key
     with pytest.raises(ValueError, match="duplicated column"):
