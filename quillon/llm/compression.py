@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillon.llm.shared import small_batches
+from quillon.llm.shared import small_batches, tidied
 
 #: (bytes from which it holds, lowest ratio, highest ratio). Prose reaches 1.2 to 2 at a kilobyte and 2 to 4 at a hundred; base64 stays near 1.3.
 BANDS = ((128, 0.7, 2.6), (256, 0.9, 3.2), (512, 1.1, 3.8), (1024, 1.2, 4.2), (2048, 1.3, 4.6), (4096, 1.4, 5.0), (16384, 1.5, 6.0), (65536, 1.6, 7.0))
@@ -63,7 +63,7 @@ def compression_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
+        for b in tidied(batches):
             cols = list(zip(*_judged(b, text_col, z))) or [[]] * 7
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.bool_())
             arrays = [b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))]
@@ -79,7 +79,7 @@ def compression_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=LEVEL)
-        for b in batches:
+        for b in tidied(batches):
             yield b.filter(pa.array([x[-1] for x in _judged(b, text_col, z)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

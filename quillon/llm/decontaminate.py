@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, mix, rows_of, slices, small_batches, words
+from quillon.llm.shared import U64, mix, rows_of, slices, small_batches, tidied, words
 
 SEGMENT = 64
 THRESHOLD = 0.5
@@ -225,7 +225,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     def searcher(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = sent.value
-            for big in batches:
+            for big in tidied(batches):
                 for b in slices(big, "__text"):
                     got = contaminated(ix, b.column(1))
                     ids = b.column(0).take(pa.array([r for r, _ in got], pa.int64()))
@@ -252,7 +252,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def cleaner(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for big in batches:
+            for big in tidied(batches):
                 for b in slices(big, text_col):
                     gone = np.zeros(b.num_rows, bool)
                     gone[[r for r, _ in contaminated(sent.value, b.column(b.schema.get_field_index(text_col)))]] = True

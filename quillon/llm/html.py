@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import small_batches
+from quillon.llm.shared import small_batches, tidied
 
 PATH_DIM = 24
 WORD_DIM = 24
@@ -289,7 +289,7 @@ def extracted(pages: DataFrame, net: Labeller | None, id_col: str = "page_id", h
     sent = pages.sparkSession.sparkContext.broadcast(net)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in tidied(batches):
             size = pc.fill_null(pc.binary_length(big.column(1)), 0).to_numpy(zero_copy_only=False)
             part = np.cumsum(size, dtype=np.int64) // (4 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), big.num_rows]

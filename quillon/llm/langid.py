@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, words
+from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, tidied, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PIECE_BYTES = 12
@@ -246,7 +246,7 @@ def identified(docs: DataFrame, model: tuple[Pieces, list[str], np.ndarray], id_
         p, langs, prob = sent.value
         score = Scorer(p, langs, prob)
         names = np.array([*langs, "und"], object)
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "__text"):
                 n, total = score(b.column(1))
                 some = (n > 0) & bool(langs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import TOKENS, U64, rows_of, slices, small_batches, words
+from quillon.llm.shared import TOKENS, U64, rows_of, slices, small_batches, tidied, words
 
 DIM = 64
 BUCKETS = 1 << 14
@@ -74,7 +74,7 @@ def context_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS, np.int64)
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "__text"):
                 w, ptr = tokens(b.column(0))
                 if len(w):
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "__text"):
                 x = pooled(*tokens(b.column(1)), sent.value)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
@@ -206,7 +206,7 @@ def classified(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = sent.value
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "__text"):
                 w, ptr = tokens(b.column(1))
                 some = np.diff(ptr) > 0

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, with_ids, words, written
+from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, tidied, with_ids, words, written
 from quillon.llm.suffix import same_start, sorted_suffixes
 
 LENGTH = 50
@@ -68,7 +68,7 @@ def blocks(w: np.ndarray, ptr: np.ndarray, length: int = LENGTH, kgram: int = KG
 
 def _blocks(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "text"):
                 w, ptr, _, _ = words(b.column(1))
                 row, start, size, anchor, content = blocks(w, ptr, length)
@@ -84,7 +84,7 @@ def _block_words(texts: DataFrame, length: int) -> DataFrame:
     """Of rows (doc, text, wanted: the blocks of it), each block with its words as 32-bit symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
+        for big in tidied(batches):
             for b in slices(big, "text"):
                 w, ptr, _, _ = words(b.column(1))
                 sym = (w >> U64(32)).astype(np.uint32)
@@ -245,7 +245,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             row, at = b.column(0), [f.name for f in b.schema.field(0).type].index(text_col)
             texts = row.field(at).to_pylist()
             new = cut_spans([t or "" for t in texts], [[(s["start_word"], s["end_word"]) for s in x] for x in b.column(1).to_pylist()])

@@ -7,9 +7,10 @@ and non-ASCII characters of the lower-cased text; all else separates words.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
-_STEP = 1 << 20  #: bytes hashed at a time
+_STEP = 1 << 19  #: bytes hashed at a time
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: words, and runs of punctuation
 TOKENS = np.where(_WORD, 1, 2).astype(np.uint8)
 TOKENS[[*range(33), 127]] = 0
+_LIBC = ctypes.CDLL(None)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -66,8 +68,21 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "doc_id", most_bytes: int = 64 << 20) -> DataFrame:
-    """Rows of df whose id is (keep) or isn't (not keep) in the one column of ids, which has each id once and no null.
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each, what Arrow and the allocator hold for later goes back to the system, as workers stay and share little memory."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "doc_id", most_bytes: int = 64 << 20, then: Batches | None = None, schema: str | None = None) -> DataFrame:
+    """Rows of df whose id is (keep) or isn't (not keep) in the one column of ids, which has each id once and no null; `then` makes them rows of `schema`.
 
     Ids of up to most_bytes go to the executors as one sorted array, so that the texts needn't be shuffled; more are joined. Rows with a null id count as not in ids.
     """
@@ -75,13 +90,14 @@ def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "do
     name = ids.columns[0]
     if ids.count() * 8 > most_bytes:
         other = ids.select(F.col(name).alias("__id"))
-        return df.join(other, F.col(id_col) == F.col("__id"), "left_semi" if keep else "left_anti")
+        rows = df.join(other, F.col(id_col) == F.col("__id"), "left_semi" if keep else "left_anti")
+        return rows.mapInArrow(then, schema) if then else rows
     array = np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64))
     sent = df.sparkSession.sparkContext.broadcast(array)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = sent.value
-        for b in batches:
+        for b in tidied(batches):
             col = b.column(b.schema.get_field_index(id_col))
             x = pc.fill_null(col, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(have, x)
@@ -89,10 +105,10 @@ def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "do
             hit &= np.asarray(col.is_valid())
             yield b.filter(pa.array(hit if keep else ~hit))
 
-    return df.mapInArrow(chosen, df.schema)
+    return df.mapInArrow(lambda batches: then(chosen(batches)), schema) if then else df.mapInArrow(chosen, df.schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about `most` bytes of text each; a longer text comes alone."""
     if not batch.num_rows:
         return

@@ -19,7 +19,7 @@ import pyarrow.compute
 import tiktoken
 from pyspark.sql import DataFrame
 
-from quillon.llm.shared import small_batches
+from quillon.llm.shared import small_batches, tidied
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the public pattern that goes with byte-level vocabularies of 50,000 ids
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value, vocabulary, pattern)
-        for b in batches:
+        for b in tidied(batches):
             text = b.column(b.num_columns - 1)
             n_bytes = text.cast(pa.large_binary())
             n = counted(text.to_pylist(), enc)
