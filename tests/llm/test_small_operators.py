@@ -96,7 +96,7 @@ def test_ids_by_array_and_by_join(spark, edge_docs):
         assert with_ids(edge_docs, ids, False, most_bytes=most).count() == edge_docs.count() - 2
         assert with_ids(edge_docs, ids.limit(0), False, most_bytes=most).count() == edge_docs.count()
         assert with_ids(edge_docs, ids.limit(0), True, most_bytes=most).count() == 0
-    assert written(ids, "ids").inputFiles()[0].startswith(shared_dir(spark))
+    assert shared_dir(spark).removeprefix("file://") in written(ids, "ids").inputFiles()[0]
 
 
 def test_words():
