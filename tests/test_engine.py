@@ -55,7 +55,7 @@ def toy(spark):
         ("select r1 from r order by r1 desc, r2", "3;;"),
         ("select a1 from a order by a1 desc limit 2", "2;1"),
         ("select a1, d1 from a left join d on a1 < d1 and d1 > 2 order by a1", "0,3;1,3;2,3"),
-        ("select a.a1, b.b1 from a join b on a.a2 = b.b1 order by 1", "0,1;1,2"),
+        ("select y.b1 as k, x.a1 from b y join a x on y.b1 = x.a2 order by k", "1,0;2,1"),
         ("with t(x) as (select a1 from a) select t1.x from t t1, t t2 where t1.x = t2.x + 1 order by 1", "1;2"),
         ("select a1 from a union select b1 + 1 from b order by a1", "0;1;2;3"),
         ("select a2 from a union all select a1 from a intersect select 2 order by a2", "2"),
