@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(_table(spark, sf_dir, "documents"))
+    return near_groups(_table(spark, sf_dir, "documents"), held=True)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

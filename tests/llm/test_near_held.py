@@ -1,0 +1,53 @@
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+from quillon.llm.near import CONTAINMENT, MAX_RATIO, near_deduplicated, near_groups, probes, shingle_sets
+
+from .conftest import DATA
+
+
+def test_unequal_sizes_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    s, ptr = shingle_sets(pa.array([t for _, t in rows], pa.string()))
+    sets = {d: frozenset(s[a:b].tolist()) for (d, _), a, b in zip(rows, ptr, ptr[1:]) if b > a}
+    where: dict[int, set[int]] = {}
+    for d, x in sets.items():
+        for h in x:
+            where.setdefault(h, set()).add(d)
+    held = set()
+    for d, x in sets.items():
+        near = {o for h in x for o in where[h]}
+        if any(len(sets[o]) > MAX_RATIO * len(x) and len(x & sets[o]) >= CONTAINMENT * len(x) for o in near):
+            held.add(d)
+    got = {r.doc_id: r for r in near_groups(docs, held=True).collect()}
+    plain = {r.doc_id: r for r in near_groups(docs).collect()}
+    assert len(held) >= 3 and sum(d in got and not got[d].keep for d in held) >= 0.95 * len(held)
+    gone, before = ({d for d, r in x.items() if not r.keep} for x in (got, plain))
+    heads = {plain[d].group_id if d in plain else d for d in held}
+    assert gone - before <= held | heads  # nothing else goes
+    assert all(got[r.group_id].keep and r.keep == (d == r.group_id) for d, r in got.items())
+    kept = {r.doc_id for r in near_deduplicated(docs, held=True).collect()}
+    assert kept == {d for d, _ in rows} - gone
+
+
+def test_shortened_and_appended_copies_go_and_holders_stay_apart(spark):
+    rng = np.random.default_rng(3)
+
+    def prose(n: int) -> str:
+        return " ".join(f"w{x}" for x in rng.integers(0, 100_000, n))
+
+    first, second, short = prose(2000), prose(900), prose(40)
+    rows = [(1, " ".join(first.split()[:300])), (2, first), (3, first + " " + prose(2500)), (4, second + " " + short), (5, short), (6, prose(800) + " " + short), (7, prose(500)), (8, " ".join(short.split()[:3]))]
+    got = {r.doc_id: (r.group_id, r.keep) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), held=True).collect()}
+    assert got == {1: (3, False), 2: (3, False), 3: (3, True), 4: (4, True), 5: (4, False), 8: (4, False)}
+
+
+def test_probes_reach_the_recall():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 10, 16, 17, 40, 300, 5000):
+        k, gone = min(n, 16), n - int(np.ceil(CONTAINMENT * n - 1e-9))
+        missing = rng.hypergeometric(gone, n - gone, k, 20_000) if gone else np.zeros(1)
+        assert (missing < probes(n)).mean() >= 0.945, n
