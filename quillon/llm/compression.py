@@ -18,8 +18,13 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.shared import small_batches, tidied
 
-#: (bytes from which it holds, lowest ratio, highest ratio). Prose reaches 1.2 to 2 at a kilobyte and 2 to 4 at a hundred; base64 stays near 1.3.
-BANDS = ((128, 0.7, 2.6), (256, 0.9, 3.2), (512, 1.1, 3.8), (1024, 1.2, 4.2), (2048, 1.3, 4.6), (4096, 1.4, 5.0), (16384, 1.5, 6.0), (65536, 1.6, 7.0))
+#: (bytes from which it holds, lowest ratio, highest ratio). The lowest ratios lie above what random base64 reaches and, from 256 bytes, random lower-case
+#: letters and digits (1.29 at 319 bytes, 1.46 at a kilobyte, 1.53 from 16 KB on), and below all prose at hand. Below 256 bytes short prose reaches no more than such letters do, so only base64 goes.
+#: Random hex digits are not aimed at.
+BANDS = (
+    *((128, 1.06, 2.6), (160, 1.08, 2.6), (192, 1.13, 2.6), (224, 1.2, 2.6), (256, 1.32, 3.2), (320, 1.335, 3.2), (384, 1.39, 3.2), (448, 1.395, 3.2)),
+    *((512, 1.42, 3.8), (640, 1.45, 3.8), (768, 1.49, 3.8), (1024, 1.54, 4.2), (2048, 1.56, 4.6), (4096, 1.57, 5.0), (16384, 1.57, 6.0), (65536, 1.6, 7.0)),
+)
 CHUNK_BYTES = 4096
 BAD_SHARE = 0.25  #: a text goes when chunks out of their band hold more than this share of its bytes
 LEVEL = 3
