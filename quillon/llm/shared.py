@@ -6,7 +6,6 @@ and non-ASCII characters of the lower-cased text; all else separates words.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import tempfile
 import uuid
@@ -32,8 +31,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, as in tests, a folder of our own if all executors are on this machine."""
     if not (d := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -42,19 +43,41 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: later steps don't compute them anew, and a lost executor loses nothing.
 
-    Results that aren't read yet may depend on the files, so they stay until the driver's Python ends.
+    discard() removes the files of a table that nothing reads any more; what the result of an operator still reads goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from written() whose readers are done."""
+    for t in tables:
+        fs, where = _file_system(t.sparkSession, t._written_to)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
 
 
-def _removed(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session was stopped, and its folder is the cluster's to clear
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -84,13 +107,14 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, id_col: str = "doc_id", most_bytes: int = 64 << 20, then: Batches | None = None, schema: str | None = None) -> DataFrame:
     """Rows of df whose id is (keep) or isn't (not keep) in the one column of ids, which has each id once and no null; `then` makes them rows of `schema`.
 
-    Ids of up to most_bytes go to the executors as one sorted array, so that the texts needn't be shuffled; more are joined. Rows with a null id count as not in ids.
+    Whole-number ids of up to most_bytes go to the executors as one sorted array, so that the texts needn't be shuffled; more, and ids of other types, are joined. Rows with a
+    null id count as not in ids.
     """
     small_batches(df.sparkSession)
     name = ids.columns[0]
-    if ids.count() * 8 > most_bytes:
-        other = ids.select(F.col(name).alias("__id"))
-        rows = df.join(other, F.col(id_col) == F.col("__id"), "left_semi" if keep else "left_anti")
+    if dict(df.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint") or ids.count() * 8 > most_bytes:
+        (other,) = fresh(df, "id_")
+        rows = df.join(ids.select(F.col(name).alias(other)), df[f"`{id_col}`"] == F.col(other), "left_semi" if keep else "left_anti")
         return rows.mapInArrow(then, schema) if then else rows
     array = np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64))
     sent = df.sparkSession.sparkContext.broadcast(array)
