@@ -5,11 +5,13 @@ the product of their probabilities, by a forward recursion over its bytes; a tex
 probabilities come from labelled texts, TRAIN_TEXTS of each language at most (a bound on the fit alone), by expectation-maximisation over
 all segmentations. Texts are scored whole; every distinct word of a batch is scored once.
 
-Pieces are the vocabulary's tokens that have only letters and digits, in lower case, at the beginning of a word (with the space) or within it, and
-all single bytes, so every word has a segmentation. Words are those of shared.py; one of more than WORD_BYTES bytes is scored in parts.
+Pieces are the vocabulary's tokens that have only letters and digits, in lower case, of any length, at the beginning of a word (with the space) or within it, and
+all single bytes, so every word has a segmentation. Words are those of shared.py, of any length: where no piece of the vocabulary spans a place of a word, all its segmentations
+part there, so the sum is the product of the sums of both sides. Words fall into such stretches, and the recursion over a stretch holds only as many states as the longest piece has bytes,
+scaled as it goes. (In the fit, stretches of more than FIT_BYTES bytes aren't counted.)
 
 Cases: texts that are null or without words get the language "und", no words and null figures. Ties go to the language that comes first in
-the alphabet. Without labelled texts all are "und". Repeated rows are scored one by one. Other columns are never read; an empty table gives an empty one.
+the alphabet. Without labelled texts all are "und". Repeated rows are scored one by one. Other columns are never read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import U64, prefix, rows_of, slices, small_batches, span, text_bytes, tidied, words
+from quillon.llm.shared import U64, fresh, prefix, rows_of, slices, small_batches, span, text_bytes, tidied, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-PIECE_BYTES = 12
-WORD_BYTES = 64
 TRAIN_TEXTS = 300
+FIT_BYTES = 64
 ROUNDS = 4
 SMOOTH = 0.05
-SCALE = 32.0  #: each byte multiplies a probability by this, so that long words don't vanish
 CACHE_WORDS = 1 << 20
-CHUNK = 8192
+CELLS = 1 << 20  #: bytes of words times languages that are scored together
+SHORT = 8  #: pieces of more bytes are looked for only where one that begins with the same SHORT bytes may stand
+RESCALE = 8  #: bytes between scalings
 
 
 @dataclass
@@ -43,6 +45,8 @@ class Pieces:
 
     plain: np.ndarray
     start: np.ndarray
+    lengths: tuple[int, ...]
+    stems: np.ndarray  # hashes of the first SHORT bytes of longer pieces
 
     @property
     def space(self) -> int:
@@ -55,8 +59,8 @@ class Pieces:
 
 def _hash(pieces: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(pieces), np.uint8).astype(U64) + U64(1)
-    end = np.cumsum([len(p) for p in pieces])
-    return np.unique(span(prefix(data), end - [len(p) for p in pieces], end))
+    end = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+    return np.unique(span(prefix(data), end - [len(p) for p in pieces], end)) if pieces else np.zeros(0, U64)
 
 
 def pieces_of(vocabulary: bytes) -> Pieces:
@@ -69,84 +73,115 @@ def pieces_of(vocabulary: bytes) -> Pieces:
         except UnicodeDecodeError:
             pass
         body = t[1:] if t[:1] == b" " else t
-        if 0 < len(body) <= PIECE_BYTES and re.fullmatch(rb"[a-z0-9\x80-\xff]+", body):
+        if re.fullmatch(rb"[a-z0-9\x80-\xff]+", body):
             (start if t[:1] == b" " else plain).add(body)
-    return Pieces(_hash(sorted(plain)), _hash(sorted(start)))
+    every = plain | start
+    return Pieces(_hash(sorted(plain)), _hash(sorted(start)), tuple(sorted({len(p) for p in every})), _hash(sorted({p[:SHORT] for p in every if len(p) > SHORT})))
 
 
-def _find(table: np.ndarray, h: np.ndarray, none: int, base: int) -> np.ndarray:
+def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are in a sorted table, and where there."""
+    if not len(table):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, at + base, none)
+    hit = np.flatnonzero(table[at] == h)
+    return hit, at[hit]
 
 
-def lattice(p: Pieces, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids[m, i, w]: the piece of m + 1 bytes from byte i of word w on; heads[m, w]: the one that begins the word with its space."""
-    sums = prefix(buf.astype(U64) + U64(1))
-    n = end - start
-    most = int(n.max(initial=1))
-    ids = np.full((PIECE_BYTES, most, len(n)), p.none, np.int32)
-    heads = np.full((PIECE_BYTES, len(n)), p.none, np.int32)
-    for m in range(min(PIECE_BYTES, most)):
-        i, w = np.nonzero(np.arange(most)[:, None] + m + 1 <= n)
-        h = span(sums, start[w] + i, start[w] + i + m + 1)
-        ids[m, i, w] = _find(p.plain, h, p.none, 0)
-        first = i == 0
-        heads[m, w[first]] = _find(p.start, h[first], p.none, len(p.plain))
-    return ids, heads
-
-
-def _edges(prob: np.ndarray, ids: np.ndarray, heads: np.ndarray, space: int, first: np.ndarray) -> np.ndarray:
-    """[m, i, l, w]: probability of the edge from byte i over m + 1 bytes, the word's space included where it is a beginning."""
-    scale = SCALE ** np.arange(1, PIECE_BYTES + 1)
-    e = prob[:, ids].transpose(1, 2, 0, 3) * scale[:, None, None, None]
-    head = prob[:, space][None, :, None] * e[:, 0] + prob[:, heads].transpose(1, 0, 2) * scale[:, None, None]
-    e[:, 0] = np.where(first, head, e[:, 0])
-    return e
-
-
-def forward(e: np.ndarray) -> np.ndarray:
-    """[j, l, w]: sum over the segmentations of the first j bytes."""
-    most = e.shape[1]
-    a = np.zeros((most + 1, *e.shape[2:]))
-    a[0] = 1
-    for j in range(1, most + 1):
-        for m in range(min(j, PIECE_BYTES)):
-            a[j] += a[j - m - 1] * e[m, j - m - 1]
-    return a
-
+@dataclass
+class Lattice:
+    """The edges of all stretches of some words, sorted by where they end and then by stretch. Longer stretches come first."""
 
-def backward(e: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """[i, l, w]: sum over the segmentations of the bytes from i on."""
-    most = e.shape[1]
-    b = np.zeros((most + 1, *e.shape[2:]))
-    for i in range(most, -1, -1):
-        b[i][:, n == i] = 1
-        for m in range(min(most - i, PIECE_BYTES)):
-            b[i] += np.where(i + m + 1 <= n, e[m, i] * b[i + m + 1], 0)
-    return b
+    size: np.ndarray  # bytes of each stretch
+    word: np.ndarray  # of each stretch
+    ptr: np.ndarray  # edges by end
+    part: np.ndarray  # stretch of each edge
+    m: np.ndarray  # bytes
+    piece: np.ndarray
+    begin: np.ndarray  # whether the word's space goes before the piece
 
 
-def _parts(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into parts of WORD_BYTES: (start, end, whether the part begins the word, word)."""
-    k = -(-(end - start) // WORD_BYTES)
-    of = np.repeat(np.arange(len(start)), k)
-    s = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)) * WORD_BYTES
-    return s, np.minimum(s + WORD_BYTES, end[of]), s == start[of], of
+def lattice(p: Pieces, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> Lattice:
+    """The edges of the words [start, end) of a buffer."""
+    n = end - start
+    lo = np.cumsum(n) - n
+    buf = buf[np.repeat(start - lo, n) + np.arange(n.sum())]
+    sums = prefix(buf.astype(U64) + U64(1))
+    left = np.repeat(lo + n, n) - np.arange(len(buf))
+    some = np.flatnonzero(left > SHORT)
+    stems = some[_find(p.stems, span(sums, some, some + SHORT))[0]]
+    first = np.zeros(len(buf) + 1, bool)
+    first[lo] = True
+    edges = []
+    for m in p.lengths:
+        i = np.flatnonzero(left >= m) if m <= SHORT else stems[left[stems] >= m]
+        if not len(i):
+            continue
+        h = span(sums, i, i + m)
+        hit, at = _find(p.plain, h)
+        edges.append((i[hit], np.full(len(hit), m), at, first[i[hit]]))
+        i, h = i[first[i]], h[first[i]]
+        hit, at = _find(p.start, h)
+        edges.append((i[hit], np.full(len(hit), m), at + len(p.plain), np.zeros(len(hit), bool)))
+    i, m, piece, begin = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 4
+    crossed = np.cumsum(np.bincount(i + 1, minlength=len(buf) + 2) - np.bincount(i + m, minlength=len(buf) + 2))[: len(buf)]
+    cut = first[: len(buf)] | (crossed == 0)
+    at = np.flatnonzero(cut)
+    size = np.diff(np.r_[at, len(buf)])
+    by = np.argsort(-size, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    of = (np.cumsum(cut) - 1)[i] if len(i) else i
+    stop, part = i - at[of] + m, rank[of]
+    order = np.lexsort([part, stop])
+    word = np.searchsorted(lo, at[by], "right") - 1
+    return Lattice(size[by], word, np.searchsorted(stop[order], np.arange(int(size.max(initial=0)) + 2)), part[order], m[order], piece[order], begin[order])
+
+
+def _runs(part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
 
 
 def word_scores(p: Pieces, prob: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """[word, language]: logarithm of the sum over all segmentations."""
-    s, e, first, of = _parts(start, end)
     out = np.zeros((len(start), len(prob)))
-    by = np.argsort(e - s, kind="stable")
-    for at in range(0, len(by), CHUNK):
-        c = by[at : at + CHUNK]
-        n = e[c] - s[c]
-        lo = np.cumsum(n) - n
-        near = buf[np.repeat(s[c] - lo, n) + np.arange(n.sum())]
-        edges = _edges(prob, *lattice(p, near, lo, lo + n), p.space, first[c])
-        a = forward(edges)[n, :, np.arange(len(c))]
-        np.add.at(out, of[c], np.log(np.maximum(a, 1e-300)) - n[:, None] * np.log(SCALE))
+    if not out.size:
+        return out
+    table, space = np.ascontiguousarray(prob.T), prob[:, p.space]
+    fill = np.cumsum(end - start) // max(1, CELLS // len(prob))
+    cuts = np.flatnonzero(np.r_[True, fill[1:] != fill[:-1], True])
+    for c, d in zip(cuts, cuts[1:]):
+        x = lattice(p, buf, start[c:d], end[c:d])
+        step = (1 << 22) // ((p.lengths[-1] + 1) * len(prob))
+        for k in range(0, len(x.size), step):
+            np.add.at(out[c:d], x.word[k : k + step], _forward(x, table, space, p.lengths[-1] + 1, k, min(k + step, len(x.size))))
+    return out
+
+
+def _forward(x: Lattice, table: np.ndarray, space: np.ndarray, ring: int, low: int, high: int) -> np.ndarray:
+    """[stretch, language] for the stretches [low, high): each state is the sum over the segmentations up to a byte; `ring` of them are held."""
+    a = np.zeros((ring, high - low, table.shape[1]))
+    a[0] = 1
+    logs, out = np.zeros(a.shape[1:]), np.zeros(a.shape[1:])
+    alive = high - low
+    for j in range(1, int(x.size[low]) + 1):
+        still = int(np.searchsorted(-x.size[low:high], -j, "right"))
+        e = slice(*(x.ptr[j : j + 2]))
+        if low or high < len(x.size):
+            e = slice(*(e.start + np.searchsorted(x.part[e], [low, high])))
+        part = x.part[e] - low
+        w = table[x.piece[e]]
+        if j <= ring and (b := x.begin[e]).any():
+            w[b] *= space
+        now = a[j % ring]
+        now[:still] = np.add.reduceat(a[(j - x.m[e]) % ring, part] * w, _runs(part))  # every byte is a piece, so each stretch has an edge
+        if j % RESCALE == 0:
+            top = now[:still].copy()
+            a[:, :still] /= top
+            logs[:still] += np.log(top)
+        done = int(np.searchsorted(-x.size[low:high], -j - 1, "right"))
+        out[done:still] = np.log(now[done:still]) + logs[done:still]
+        alive = done
     return out
 
 
@@ -157,43 +192,58 @@ def fit(p: Pieces, column: pa.Array, labels: list[str], rounds: int = ROUNDS) ->
     buf = text_bytes(column)[0]
     lang = np.array([langs.index(x) for x in labels], np.int64)[rows_of(ptr)]
     uniq, at, inv = np.unique(w, return_index=True, return_inverse=True)
-    count = np.zeros((len(langs), len(uniq)))
-    np.add.at(count, (lang, inv), 1.0)
-    s, e, first, of = _parts(start[at], end[at])
+    count = np.zeros((len(uniq), len(langs)))
+    np.add.at(count, (inv, lang), 1.0)
     size = p.none + 1
     prob = np.full((len(langs), size), 1.0 / size)
     prob[:, p.none] = 0
-    by = np.argsort(e - s, kind="stable")
+    step = max(1, (1 << 15) // len(langs))
+    chunks = [(lattice(p, buf, start[at[c : c + step]], end[at[c : c + step]]), c) for c in range(0, len(uniq), step)]
     for _ in range(rounds):
         got = np.full(prob.shape, SMOOTH)
-        for c in (by[k : k + CHUNK] for k in range(0, len(by), CHUNK)):
-            n = e[c] - s[c]
-            lo = np.cumsum(n) - n
-            ids, heads = lattice(p, buf[np.repeat(s[c] - lo, n) + np.arange(n.sum())], lo, lo + n)
-            edges = _edges(prob, ids, heads, p.space, first[c])
-            a, b = forward(edges), backward(edges, n)
-            weight = count[:, of[c]] / np.maximum(b[0], 1e-300)
-            scale = SCALE ** np.arange(1, PIECE_BYTES + 1)
-            for m in range(min(PIECE_BYTES, ids.shape[1])):
-                for i in range(ids.shape[1] - m):
-                    ok = i + m + 1 <= n
-                    flow = weight[:, ok] * a[i][:, ok] * b[i + m + 1][:, ok]
-                    plain, head = ids[m, i][ok], heads[m][ok]
-                    through = flow * edges[m, i][:, ok]
-                    if i == 0:
-                        f = first[c][ok]
-                        begun = flow * prob[:, head] * scale[m] * f
-                        for k in range(len(langs)):
-                            got[k] += np.bincount(head, begun[k], size)
-                        through = through - begun
-                        got[:, p.space] += (through * f).sum(1)
-                    for k in range(len(langs)):
-                        got[k] += np.bincount(plain, through[k], size)
+        for x, c in chunks:
+            low = int(np.searchsorted(-x.size, -FIT_BYTES, "left"))  # longer stretches come before
+            if low < len(x.size):
+                _expected(p, x, low, count[c + x.word], prob, got)
         got[:, p.none] = 0
         prob = got / got.sum(1, keepdims=True)
     return langs, prob
 
 
+def _expected(p: Pieces, x: Lattice, low: int, count: np.ndarray, prob: np.ndarray, got: np.ndarray) -> None:
+    """Add the expected counts of all pieces in the stretches from `low` on to got."""
+    most = int(x.size[low])
+    e = np.arange(x.ptr[1], x.ptr[most + 1])
+    e = e[x.part[e] >= low]
+    part, m, piece, begin = x.part[e] - low, x.m[e], x.piece[e], x.begin[e]
+    stop = np.repeat(np.arange(most + 1), np.diff(x.ptr[: most + 2]))[e]
+    size = x.size[low:]
+    scale = 32.0  # for each byte, so that long stretches don't vanish
+    w = prob.T[piece] * (scale ** m)[:, None]
+    w[begin] *= prob[:, p.space]
+    a = np.zeros((most + 1, len(size), len(prob)))
+    a[0] = 1
+    ptr = np.searchsorted(stop, np.arange(most + 2))
+    for j in range(1, most + 1):
+        s = slice(ptr[j], ptr[j + 1])
+        new = _runs(part[s])
+        a[j, part[s][new]] = np.add.reduceat(a[j - m[s], part[s]] * w[s], new)
+    b = np.zeros_like(a)
+    b[size, np.arange(len(size))] = 1
+    begins = stop - m
+    order = np.lexsort([part, -begins])
+    at = np.searchsorted(-begins[order], -np.arange(most, -2, -1))
+    for k, i in enumerate(range(most, -1, -1)):
+        s = order[at[k] : at[k + 1]]
+        if len(s):
+            new = _runs(part[s])
+            b[i, part[s][new]] += np.add.reduceat(b[stop[s], part[s]] * w[s], new)
+    flow = a[begins, part] * b[stop, part] * w * (count[low:] / b[0])[part]
+    for k in range(len(prob)):
+        got[k] += np.bincount(piece, flow[:, k], prob.shape[1])
+        got[k, p.space] += flow[begin, k].sum()
+
+
 class Scorer:
     """Scores whole texts, keeping the words that it has scored."""
 
@@ -227,10 +277,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Pieces, languages and probabilities from `texts` labelled rows of each language, chosen by a hash of their ids."""
     with open(vocabulary, "rb") as f:
         p = pieces_of(f.read())
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    turn = F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = known.withColumn("__turn", turn).filter(F.col("__turn") <= texts).select("__id").distinct()
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi")  # bounded by `texts`
+    key, lang, turn = fresh(docs, "key", "lang", "turn")
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias(key), F.col(lang_col).alias(lang))
+    nth = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
+    chosen = known.withColumn(turn, nth).filter(F.col(turn) <= texts).select(key).distinct()
+    rows = docs.join(F.broadcast(chosen), docs[f"`{id_col}`"] == F.col(key), "left_semi")  # bounded by `texts`
     table = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("l", F.xxhash64("t")).toArrow()
     if not table.num_rows:
         return p, [], np.zeros((0, p.none + 1))
