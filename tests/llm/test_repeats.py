@@ -75,6 +75,32 @@ def test_edges(spark, edge_docs):
     assert without_repeats(edge_docs.limit(0)).count() == 0
 
 
+def test_a_frequent_anchor_is_spread(spark):
+    """A passage of 40 words in 3,000 documents with other words around it, some of which recur, in suffix arrays of 5,000 words."""
+    rng = random.Random(9)
+    line = [f"licence{i}" for i in range(40)]
+    around = [([f"l{rng.randrange(10**6)}" for _ in range(12)], [f"r{rng.randrange(10**6)}" for _ in range(12)]) for _ in range(700)]
+    rows = []
+    for d in range(3000):
+        before, after = rng.choice(around)[0], rng.choice(around)[1]
+        rows.append((d, " ".join([f"own{d}", *before[rng.randrange(9) :], *line, *after[: rng.randrange(3, 12)], f"own{d}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 50)
+    assert len(want) > 500
+    for group_words in (5000, 1 << 20):
+        assert covered(repeated_passages(df, group_words=group_words).collect()) == want
+
+
+def test_rows_that_share_an_id_lose_what_they_repeat(spark):
+    rng = random.Random(10)
+    p, q, r = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, p, 1), (2, p, 2), (2, q, 3), (2, r + " " + q, 4), (2, r + " " + q, 5)]
+    left = sorted(map(tuple, without_repeats(spark.createDataFrame(rows, "doc_id long, text string, v int")).collect()), key=lambda x: x[2])
+    assert left[0] == (1, p, 1) and (2, p, 2) not in left
+    # of the last three, the row whose words have the lower number keeps q
+    assert [(t, k) for _, t, k in left[1:]] in ([(q, 3), (r, 4), (r, 5)], [(r + " " + q, 4), (r + " " + q, 5)])
+
+
 def test_cut_spans():
     assert cut_spans(["A b, c d. E f"], [[(1, 3)]]) == ["A d. E f"]
     assert cut_spans(["A b, c"], [[(1, 3), (1, 2)]]) == ["A"]
