@@ -5,23 +5,23 @@ are BM25 with each distinct word of the passage counted once, divided by the sco
 the share of a part's weight that a passage must hold. Passages are windows of twice SEGMENT words, one SEGMENT apart, so some window holds
 any run of words that a part can have.
 
-Retrieval is block-max WAND, a batch of passages at a time, and gives exactly the pairs of passage and part at THRESHOLD or above:
-1. lists of rare words bound every part's score; passages that no part can reach with them go; 2. the largest impact of each block of
-each list bounds the scores by block; blocks that stay below are skipped; 3. what is left is scored in full.
+Retrieval is a batch form of block-max WAND, for all passages of a batch at once instead of one cursor for each list, and gives exactly the pairs of passage and part at THRESHOLD or above:
+1. the lists of rare words play the pivot's part: they bound every part's score, and passages that no part can reach with them go; 2. the largest impact of each block of
+each list bounds the scores by block, and of blocks that stay below no posting is read; 3. what is left is scored in full.
 
 A pair counts when the words around the passage hold at least OVERLAP of the n-grams of both the item's question and its answer. The answer
-is what follows the last question mark or, where nothing does, the last sentence; of a lone sentence it is the last third.
+is what follows the last question mark or, where nothing does, the last sentence; of a lone sentence it is the last third. An item of fewer than WHOLE_WORDS words has too few
+n-grams for shares to tell anything; of it the whole run of words must stand in the document.
 
-Cases: null and empty texts have no passages. Items that are null, without an id or of fewer than MIN_WORDS words can't be told from chance and are
-left out. Repeated rows are searched one by one. Texts are read whole, whatever their length. Other columns pass through untouched, whatever
+The items are held by the driver; their indexes are sent to the executors PASS_BYTES of text at a time, and each pass over the documents searches all of these.
+
+Cases: null and empty texts have no passages. Items that are null, without an id or without a word are in no index. Repeated rows are searched one by one. Texts are read whole, whatever their length. Other columns pass through untouched, whatever
 their names; without documents or items nothing is found.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +36,12 @@ SEGMENT = 64
 THRESHOLD = 0.5
 OVERLAP = 0.5
 NGRAM = 4
-MIN_WORDS = 6
+WHOLE_WORDS = 6
 K1, B = 1.2, 0.75
 BLOCK = 16
 RARE = 0.85  #: share of a part's weight that the lists of the first step hold
-SHARD_BYTES = 16 << 20  #: text of items in one index; more items make more indexes, each a pass of its own
+SHARD_BYTES = 16 << 20  #: text of items in one index
+PASS_BYTES = 64 << 20  #: text of items whose indexes go to the executors together
 _BITS = 20
 
 
@@ -56,6 +57,7 @@ class Index:
     weight: np.ndarray
     rare: np.ndarray  # whether a posting is in the lists of the first step
     need: np.ndarray  # what these lists must give for a part
+    least: np.ndarray  # the score that a part must have
     seen: np.ndarray  # low bits of the terms of the first step
 
 
@@ -92,37 +94,49 @@ def grams_of(text: str) -> tuple[np.ndarray, int]:
 
 def build_indexes(items: list[tuple[int, str | None]], shard_bytes: int = SHARD_BYTES) -> list[Index]:
     """Indexes of all items, each of about shard_bytes of text; frequencies are those of all items together."""
-    kept, size = [], 0
-    for i, t in items:
-        if i is not None and t and len(w := words(pa.array([t]))[0]) >= MIN_WORDS:
-            n = -(-len(w) // SEGMENT)
-            kept.append((i, t, w, [w[len(w) * k // n : len(w) * (k + 1) // n] for k in range(n)], size // shard_bytes))
-            size += len(t)
-    parts = [Counter(p.tolist()) for x in kept for p in x[3]]
-    df = Counter(t for p in parts for t in p)
-    mean = sum(sum(p.values()) for p in parts) / max(1, len(parts))
-    out, done = [], 0
-    for shard in sorted({x[4] for x in kept}):
-        mine = [x for x in kept if x[4] == shard]
-        rows, need = [], []
-        item = [k for k, x in enumerate(mine) for _ in x[3]]
-        for p, c in enumerate(parts[done : done + len(item)]):
-            dl = sum(c.values())
-            w = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean)) for t, f in c.items()}
-            own, held = sum(w.values()), 0.0
-            for t in sorted(w, key=lambda t: (df[t], t)):
-                rows.append((t, p, w[t] / own, held < RARE))
-                held += w[t] / own if held < RARE else 0.0
-            need.append(THRESHOLD - (1 - held) - 1e-9)
-        done += len(item)
-        rows.sort()
-        t = np.array([r[0] for r in rows], U64)
-        terms, first = np.unique(t, return_index=True)
-        rare = np.array([r[3] for r in rows], bool)
+    items = [(i, t) for i, t in items if i is not None and t]
+    w, ptr, _, _ = words(pa.array([t for _, t in items], pa.large_string()))
+    count = np.diff(ptr)
+    items = [(i, t, w[a : a + n]) for (i, t), a, n in zip(items, ptr, count) if n]
+    count = count[count > 0]
+    if not items:
+        return []
+    cuts = -(-count // SEGMENT)
+    item = np.repeat(np.arange(len(items)), cuts)
+    nth = np.arange(len(item)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    first = (np.cumsum(count) - count)[item] + count[item] * nth // cuts[item]
+    size = np.diff(np.r_[first, len(w)])
+    of = np.repeat(np.arange(len(item)), size)
+    order = np.lexsort([w, of])
+    t, p = w[order], of[order]
+    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+    t, p, f = t[new], p[new], np.diff(np.r_[new, len(t)])
+    _, at, df = np.unique(t, return_inverse=True, return_counts=True)
+    df = df[at]
+    weight = np.log(1 + (len(item) - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size[p] / size.mean()))
+    weight /= np.bincount(p, weight)[p]
+    by = np.lexsort([t, df, p])
+    before = np.cumsum(weight[by]) - weight[by]
+    head = np.flatnonzero(np.r_[True, p[by][1:] != p[by][:-1]])
+    rare = np.empty(len(t), bool)
+    rare[by] = before - np.repeat(before[head], np.diff(np.r_[head, len(t)])) < RARE
+    least = np.where(count[item] < WHOLE_WORDS, 1.0, THRESHOLD) - 1e-9
+    need = least - (1 - np.bincount(p, weight * rare, len(item))) - 1e-9
+    shard = (np.cumsum([len(x[1]) for x in items]) - len(items[0][1])) // shard_bytes
+    out = []
+    for k in np.unique(shard):
+        mine, parts = np.flatnonzero(shard == k), np.flatnonzero(shard[item] == k)
+        on = np.flatnonzero((p >= parts[0]) & (p <= parts[-1]))
+        on = on[np.lexsort([p[on], t[on]])]
+        terms, begin = np.unique(t[on], return_index=True)
         seen = np.zeros(1 << _BITS, bool)
-        seen[(t[rare] & U64((1 << _BITS) - 1)).astype(np.int64)] = True
-        grams = [(grams_of(q), grams_of(a)) for q, a in (question_and_answer(x[1]) for x in mine)]
-        out.append(Index(np.array([x[0] for x in mine], np.int64), grams, np.array([len(x[2]) for x in mine]), np.array(item), terms, np.r_[first, len(t)], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), rare, np.array(need), seen))
+        seen[(t[on][rare[on]] & U64((1 << _BITS) - 1)).astype(np.int64)] = True
+        grams = []
+        for x in (items[i] for i in mine):
+            whole = (ngrams(x[2], len(x[2])), len(x[2]))
+            grams.append((whole, whole) if len(x[2]) < WHOLE_WORDS else tuple(map(grams_of, question_and_answer(x[1]))))
+        ids = np.array([items[i][0] for i in mine], np.int64)
+        out.append(Index(ids, grams, count[mine], item[parts] - mine[0], terms, np.r_[begin, len(on)], p[on] - parts[0], weight[on], rare[on], need[parts], least[parts], seen))
     return out
 
 
@@ -170,29 +184,29 @@ def retrieve(ix: Index, w: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.
     on[alive] = True
     a, b = np.flatnonzero(on[seg]), np.flatnonzero((pos >= SEGMENT) & on[seg - 1])
     win, term = _distinct_terms(ix, np.r_[w[a], w[b]], np.r_[seg[a], seg[b] - 1])
-    blocks, bptr, most = _block_max(ix, n_blocks)
+    blocks, bptr, most, postings, lowest = _block_max(ix, n_blocks)
     p, of = _expand(bptr, term)
     key, bound = _sums(win[of] * n_blocks + blocks[p], most[p])
-    opened = key[bound >= THRESHOLD - 1e-9]
-    p, of = _expand(ix.ptr, term)
-    k = win[of] * n_blocks + ix.part[p] // BLOCK
-    inside = np.isin(k, opened)
-    key, score = _sums(win[of][inside] * n_parts + ix.part[p[inside]], ix.weight[p[inside]])
-    ok = score >= THRESHOLD - 1e-9
+    opened = np.isin(win[of] * n_blocks + blocks[p], key[bound >= lowest[key % n_blocks]])
+    p, of = p[opened], of[opened]
+    q, inner = _expand(postings, p)  # only the postings of these blocks
+    key, score = _sums(win[of[inner]] * n_parts + ix.part[q], ix.weight[q])
+    ok = score >= ix.least[key % n_parts]
     win, part, score = key[ok] // n_parts, key[ok] % n_parts, score[ok]
     r = np.searchsorted(base, win, "right") - 1
     return r, (win - base[r]) * SEGMENT, part, score
 
 
-def _block_max(ix: Index, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lists of (block, largest weight) of all terms."""
+def _block_max(ix: Index, n_blocks: int) -> tuple[np.ndarray, ...]:
+    """The lists of (block, largest weight) of all terms, where the postings of each entry begin, and the least score that counts in each block."""
     if not hasattr(ix, "_most"):
         term = rows_of(ix.ptr)
         key = term * n_blocks + ix.part // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         most = np.maximum.reduceat(ix.weight, first)
         k = key[first]
-        ix._most = k % n_blocks, np.searchsorted(k // n_blocks, np.arange(len(ix.terms) + 1)), most
+        lowest = np.minimum.reduceat(ix.least, np.arange(0, len(ix.least), BLOCK))
+        ix._most = k % n_blocks, np.searchsorted(k // n_blocks, np.arange(len(ix.terms) + 1)), most, np.r_[first, len(key)], lowest
     return ix._most
 
 
@@ -213,9 +227,11 @@ def contaminated(ix: Index, column: pa.Array) -> dict[tuple[int, int], tuple[flo
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str) -> list:
+    """Broadcasts of the indexes that one pass searches."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).orderBy(item_col, text_col).toLocalIterator()
-    return [spark.sparkContext.broadcast(ix) for ix in build_indexes([tuple(r) for r in items])]
+    every, each = build_indexes([tuple(r) for r in items]), PASS_BYTES // SHARD_BYTES
+    return [spark.sparkContext.broadcast(every[k : k + each]) for k in range(0, len(every), each)]
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -224,9 +240,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     def searcher(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = sent.value
             for big in tidied(batches):
-                for b in slices(big, "__text"):
+                for b, ix in ((b, ix) for b in slices(big, "__text") for ix in sent.value):
                     got = contaminated(ix, b.column(1))
                     ids = b.column(0).take(pa.array([r for r, _ in got], pa.int64()))
                     figures = list(zip(*got.values())) or [[], [], []]
@@ -255,7 +270,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             for big in tidied(batches):
                 for b in slices(big, text_col):
                     gone = np.zeros(b.num_rows, bool)
-                    gone[[r for r, _ in contaminated(sent.value, b.column(b.schema.get_field_index(text_col)))]] = True
+                    for ix in sent.value:
+                        gone[[r for r, _ in contaminated(ix, b.column(b.schema.get_field_index(text_col)))]] = True
                     yield b.filter(pa.array(~gone))
 
         return run

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from quillon.llm.decontaminate import OVERLAP, SEGMENT, THRESHOLD, benchmark_leaks, build_indexes, contaminated, decontaminated, ngrams, question_and_answer, retrieve
+from quillon.llm.decontaminate import OVERLAP, SEGMENT, benchmark_leaks, build_indexes, contaminated, decontaminated, ngrams, question_and_answer, retrieve
 from quillon.llm.shared import words
 
 from .conftest import DATA
@@ -32,7 +32,7 @@ def test_retrieval_is_exact(spark):
         assert np.isclose(np.bincount(ix.part, ix.weight), 1).all()
         w, ptr, _, _ = words(pa.array(texts))
         got = {(int(r), int(s), int(p)): v for r, s, p, v in zip(*retrieve(ix, w, ptr))}
-        want = {(r, s, p): v for r in range(len(texts)) for (s, p), v in every_score(ix, w[ptr[r] : ptr[r + 1]]).items() if v >= THRESHOLD}
+        want = {(r, s, p): v for r in range(len(texts)) for (s, p), v in every_score(ix, w[ptr[r] : ptr[r + 1]]).items() if v >= ix.least[p]}
         assert got.keys() == want.keys() and len(got) > 3
         assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
 
@@ -53,15 +53,15 @@ def test_leaks_against_brute_force(spark):
 
 def test_many_shards_and_long_items():
     long = " ".join(f"term{i}" for i in range(500)) + "? " + " ".join(f"answer{i}" for i in range(20)) + "."
-    items = [(1, long), (2, "What is the colour of the seventh lamp? It is a deep ultramarine."), (3, None), (None, "no id at all here, really none."), (4, "Too few."), (2, "What is the colour of the seventh lamp? It is a deep ultramarine.")]
+    items = [(1, long), (2, "What is the colour of the seventh lamp? It is a deep ultramarine."), (3, None), (None, "no id at all here, really none."), (4, "Too few."), (5, "Capital of Peru? Lima."), (6, "?!"), (2, "What is the colour of the seventh lamp? It is a deep ultramarine.")]
     noise = " ".join(f"noise{i}" for i in range(700))
-    texts = pa.array([noise + " " + long + " " + noise, "x " + items[1][1].upper(), None, "", noise, "What is the colour of the seventh lamp? Nobody knows."])
+    texts = pa.array([noise + " " + long + " " + noise, "x " + items[1][1].upper(), None, "", noise, "What is the colour of the seventh lamp? Nobody knows.", "So: the capital of Peru, Lima!", "Lima is the capital of Peru.", "too too few"])
     for size in (10, 1 << 24):
         found = Counter()
         for ix in build_indexes(items, size):
             for r, i in contaminated(ix, texts):
                 found[r, int(ix.ids[i])] += 1
-        assert set(found) == {(0, 1), (1, 2)}
+        assert set(found) == {(0, 1), (1, 2), (6, 5), (8, 4)} and max(found.values()) <= 2
     assert build_indexes([]) == [] and OVERLAP <= 1
 
 
