@@ -197,6 +197,15 @@ def evidence(at: np.ndarray, ptr: np.ndarray, y: np.ndarray, n_keys: int) -> np.
 
 def pooled_by_evidence(at: np.ndarray, ptr: np.ndarray, proof: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each label: the mean of the rows' own vectors by the tokens' evidence, its sums for and against, and its extremes."""
+    out, a = np.zeros((len(ptr) - 1, proof.shape[1] * (DIM + 4))), 0
+    while a < len(out):  # a few rows at a time, as each token takes a vector
+        b = max(a + 1, int(np.searchsorted(ptr, ptr[a] + _CHUNK, "right")) - 1)
+        out[a:b] = _pooled_by_evidence(at[ptr[a] : ptr[b]], ptr[a : b + 1] - ptr[a], proof, keys)
+        a = b
+    return out
+
+
+def _pooled_by_evidence(at: np.ndarray, ptr: np.ndarray, proof: np.ndarray, keys: np.ndarray) -> np.ndarray:
     n, out = len(ptr) - 1, []
     row = rows_of(ptr)
     some = np.flatnonzero(proof[at].any(1))
@@ -313,11 +322,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = rows.select("doc", "text", *names).mapInArrow(run, f"id {kind}, x array<double>, sets array<int>, {', '.join(f'{y} double' for y in names)}").toArrow()
     if not got.num_rows:
         return Model(vectors, None, None)
-    x = np.stack(got["x"].to_pylist())
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     y = np.stack([np.array(got[c].to_pylist(), float) for c in names], 1)
     by = np.lexsort(np.concatenate([x.T[:3], [np.unique(got["id"].to_pylist(), return_inverse=True)[1]]]))  # the fit doesn't depend on the order of partitions
-    sets = [np.array(v) for v in got["sets"].to_pylist()]
-    at, ptr = np.concatenate([sets[i] for i in by]).astype(np.int64), np.r_[0, np.cumsum([len(sets[i]) for i in by])]
+    sets = got["sets"].combine_chunks()
+    first, size = sets.offsets.to_numpy()[:-1][by], np.diff(sets.offsets.to_numpy())[by]
+    ptr = np.r_[0, np.cumsum(size, dtype=np.int64)]
+    at = sets.values.to_numpy()[np.repeat(first - ptr[:-1], size) + np.arange(ptr[-1])].astype(np.int64)
+    del got, sets
     return Model(vectors, *fitted(x[by], y[by], at, ptr, vectors.keys))
 
 
