@@ -27,6 +27,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 TOKENS = np.where(_WORD, 1, 2).astype(np.uint8)
 TOKENS[[*range(33), 127]] = 0
 _LIBC = ctypes.CDLL(None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -40,14 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The rows of df, written once to the shared folder and read again: later steps don't compute them anew, and a lost executor loses nothing.
 
-    discard() removes the files of a table that nothing reads any more; what the result of an operator still reads goes when the driver's JVM ends.
+    What was shuffled to write them goes at once, not when the driver happens to collect its garbage. discard() removes the files of a table that nothing reads any more; what the result of an operator still reads goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     fs, where = _file_system(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
